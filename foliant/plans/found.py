@@ -1,0 +1,24 @@
+"""The queries pN_found of TESTDATA.md, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.llm.sentences import sentences
+from foliant.sources.tables import latest, table
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """kind, row_id, text of problem 3: every utterance, and the sections of `.epub` books; repeated rows once."""
+    utterances = latest(table(spark, folder, "utterances").select("utt_id", "text", "loaded_at"), "utt_id")
+    books = latest(table(spark, folder, "doc_meta").select("doc_id", "suffix", "loaded_at"), "doc_id").where(F.col("suffix") == ".epub")
+    sections = table(spark, folder, "sections").select("section_id", "doc_id", "text", "loaded_at").join(books.select("doc_id"), "doc_id", "left_semi")
+    return utterances.select(F.lit("utterance").alias("kind"), F.col("utt_id").alias("row_id"), "text").unionByName(
+        latest(sections.drop("doc_id"), "section_id").select(F.lit("section").alias("kind"), F.col("section_id").alias("row_id"), "text")
+    )
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """kind, row_id, start_at, end_at: one row per sentence."""
+    return sentences(texts(spark, folder), restore=False).select("kind", "row_id", "start_at", "end_at")
