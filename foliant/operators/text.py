@@ -1,0 +1,26 @@
+"""Projections of section text: paragraphs, line flattening, repetition keys, anchors."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Fixed value: the pattern of a note anchor.
+ANCHOR = r"\[\^([^\]]+)\]"
+
+
+def paragraphs(df: DataFrame, text: str = "text", position: str = "paragraph_no", out: str = "paragraph") -> DataFrame:
+    """One row per non-blank paragraph (PJ1): the text is cut at empty lines and not stripped; null gives no row.
+    `position` counts the pieces from 0, blank ones too. Narrow."""
+    kept = [F.col(c) for c in df.columns if c not in (position, out)]
+    return df.select(*kept, F.posexplode(F.split(text, "\n\n", -1)).alias(position, out)).where(F.trim(F.regexp_replace(out, r"\s", " ")) != "")
+
+
+def anchors(text: Column) -> Column:
+    """The refs of a text's anchors in order, repeats kept; null for null."""
+    return F.regexp_extract_all(text, F.lit(ANCHOR), F.lit(1))
+
+
+def without_anchors(text: Column) -> Column:
+    """PJ11: anchors and the white space before them dropped, the rest trimmed; empty results are kept."""
+    return F.trim(F.regexp_replace(text, r"\s*" + ANCHOR, ""))

@@ -1,0 +1,5 @@
+"""The registered queries over the given tables; importing this package registers them."""
+
+from foliant.plans import text
+
+FLAGSHIP = "paragraph_explode"

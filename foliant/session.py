@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -13,7 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -26,10 +28,30 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's own, or a temporary one where none is set (tests)."""
+    """The shared folder for cut lineage, as the session names it. A local session without one gets a temporary
+    folder; on a cluster a folder that executors cannot share is refused."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-checkpoint-")
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="foliant-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package's code to the executors, once per session (they fetch it from the driver)."""
+    context = spark.sparkContext
+    if getattr(context, "_foliant_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    handle, path = tempfile.mkstemp(prefix="foliant-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(path)
+    context._foliant_shipped = True

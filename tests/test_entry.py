@@ -4,5 +4,5 @@ import __spark_entry__
 
 
 def test_entry_gives_rows(spark):
-    assert __spark_entry__.entry(spark).columns == ["kind", "row_id", "start_at", "end_at"]
+    assert __spark_entry__.entry(spark).columns == ["section_id", "paragraph_no", "paragraph"]
     assert __spark_entry__.entry(spark).count() > 0
