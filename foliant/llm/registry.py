@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.llm.language import p5_found
 from foliant.llm.leaks import p8_found
 from foliant.llm.lookalike import p2_found
 from foliant.llm.names import p1_found
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p8_found": p8_found,
 }
 
