@@ -13,4 +13,4 @@ FROM (SELECT section_id, text, unnest(range(1, len(string_split(text, chr(10) ||
 WHERE trim(regexp_replace(string_split(text, chr(10) || chr(10))[n], '[\\s]', ' ', 'g')) <> ''
 """)
 def paragraph_explode(spark, folder):
-    return T.paragraphs(table(spark, folder, "sections").select("section_id", "text").distinct())
+    return T.paragraphs(table(spark, folder, "sections").select("section_id", "text").distinct()).drop("text")
