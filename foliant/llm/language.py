@@ -356,8 +356,8 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return model
 
 
-def labelled(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
-    """At most PER_LANGUAGE rows a language and table, by hash; the first 400 characters of a text are its example."""
+def labelled(spark: SparkSession, folder: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
+    """About `per_language` rows a language and table, by hash; the first 400 characters of a text are its example."""
     notation = F.create_map(*[x for k, v in CODES.items() for x in (F.lit(k), F.lit(v))])
     out = []
     parts = []
@@ -368,7 +368,7 @@ def labelled(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     # The share that passes the filter follows from the counts, so no group is gathered or sorted whole.
     counts = both.groupBy("source", "code").count()
-    share = counts.select("source", "code", (F.lit(1.15 * PER_LANGUAGE) / F.col("count")).alias("share"))
+    share = counts.select("source", "code", (F.lit(float(per_language)) / F.col("count")).alias("share"))
     picked = both.join(F.broadcast(share), ["source", "code"]).where("(h % 1000000 + 1000000) % 1000000 < share * 1000000")
     return sorted((r["text"], r["code"]) for r in picked.select("text", "code").collect())
 
