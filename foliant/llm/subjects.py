@@ -32,7 +32,7 @@ LANGUAGE_ROWS = 250  # labelled rows a language and table for the language model
 SURE = 0.6  # probability from which a sentence deals with a subject
 SOURCES = 16  # buckets of source names
 BEAM = 4
-STEPS, RATE = 900, 0.7  # steps of 256 sentences, in 3 to 12 passes
+STEPS, RATE = 900, 2.0  # steps of 256 sentences, in 3 to 12 passes
 READ = [LANGUAGES.index(x) for x in ("en", "de", "fr")]
 
 # Abbreviations before which no sentence ends here.
