@@ -12,6 +12,7 @@ from foliant.llm.leaks import p8_found
 from foliant.llm.lookalike import p2_found
 from foliant.llm.names import p1_found
 from foliant.llm.packing import p7_fill, p7_packed
+from foliant.llm.scans import p4_found, p4_repaired
 from foliant.llm.sentences import p3_found
 from foliant.llm.subjects import p9_found
 
@@ -19,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
