@@ -96,7 +96,8 @@ def changed(signature: DataFrame, kept: DataFrame, by: list[str]) -> DataFrame:
 def term_counts(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
     """`term`, n, texts: A15, O4, J15. Occurrences of the terms as whole words: words are counted by text and term
     first, and joined with the terms; no text is compared with a list."""
-    words = texts.select(F.monotonically_increasing_id().alias("__t"), F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(\w+)"), F.lit(1))).alias(term))
+    numbered = texts.select(F.monotonically_increasing_id().alias("__t"), F.regexp_extract_all(F.col(text), F.lit(r"(\w+)"), F.lit(1)).alias("__words"))
+    words = numbered.select("__t", F.explode("__words").alias(term))
     counted = words.groupBy("__t", term).agg(F.count("*").alias("__n")).groupBy(term).agg(F.sum("__n").alias("n"), F.count("*").alias("texts"))
     return terms.select(term).distinct().join(counted, term).orderBy(F.desc("n"), term)
 
