@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with documents (problem 7).
 
 Method: sum-of-squares packing. With N(g) open containers of residual gap g, an item is placed where the sum of N(g)^2
-over all gaps becomes smallest: into a gap g, which changes the sum by 2(N(g - s) - N(g)) + 2 (2 less without N(g - s)
-when it fills up), or into a new container. Items are never split unless longer than the capacity; those give full
+over all gaps becomes smallest: into a gap g, which changes the sum by 2(N(g - s) - N(g)) + 2 (1 - 2N(g)
+when that fills it), or into a new container, by 2N(capacity - s) + 1. Items are never split unless longer than the capacity; those give full
 containers of their own and one rest, which is an item.
 
 Packing is sequential, so the items are dealt to shards by hash; their number follows from the counted tokens, so that a
@@ -65,13 +65,13 @@ class SumOfSquares:
 
     def place(self, size: int) -> tuple[int, int]:
         n = self.count
-        # Gaps size..capacity-1: N(g - size) - N(g), one less where the gap closes; closed and empty ones are out.
-        change = n[: self.capacity - size] - n[size : self.capacity]
+        # What each gap of size..capacity-1 changes the sum by; no gap without a container.
+        change = 2 * (n[: self.capacity - size] - n[size : self.capacity]) + 2
         if len(change):
             change[0] -= 1
             change = np.where(n[size : self.capacity] > 0, change, 1 << 40)
             at = int(change.argmin())
-            fresh = int(n[self.capacity - size]) if size < self.capacity else -1
+            fresh = 2 * int(n[self.capacity - size]) + 1 if size < self.capacity else 0
             if change[at] <= fresh:
                 gap = size + at
                 container = self.open[gap].pop()
