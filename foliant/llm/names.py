@@ -85,6 +85,26 @@ def distance(a: str, b: str, most: int) -> int:
     return last.get(len(b), far)
 
 
+KEYS = {c: (row, x + row / 2) for row, keys in enumerate(("qwertyuiop", "asdfghjkl", "zxcvbnm")) for x, c in enumerate(keys)}
+
+
+def beside(a: str, b: str) -> bool:
+    """Whether two letters lie side by side on the keyboard."""
+    return a in KEYS and b in KEYS and abs(KEYS[a][0] - KEYS[b][0]) <= 1 and abs(KEYS[a][1] - KEYS[b][1]) <= 1
+
+
+def same_head(a: str, b: str) -> bool:
+    """Within k errors; two replaced letters are errors of typing only if each lies beside the right one."""
+    most = min(changes(a), changes(b))
+    d = distance(a, b, most)
+    if d > most:
+        return False
+    if d == 2 and len(a) == len(b):
+        wrong = [(x, y) for x, y in zip(a, b) if x != y]
+        return len(wrong) != 2 or all(beside(x, y) for x, y in wrong)
+    return True
+
+
 def segments(word: str) -> list[tuple[int, str]]:
     """The k+1 segments of a word with their places, even in length."""
     parts = changes(word) + 1
@@ -237,8 +257,7 @@ def near_heads(heads: DataFrame) -> DataFrame:
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ok = [distance(a, b, min(changes(a), changes(b))) <= min(changes(a), changes(b)) for a, b in zip(part["head_a"], part["head_b"])]
-            yield part[ok]
+            yield part[[same_head(a, b) for a, b in zip(part["head_a"], part["head_b"])]]
 
     one = found.mapInPandas(verify, "head_a string, head_b string")
     return one.unionByName(one.select(F.col("head_b").alias("head_a"), F.col("head_a").alias("head_b"))).distinct()
@@ -272,7 +291,7 @@ def linked(names: DataFrame) -> DataFrame:
     raw = _kept(nodes(names))
     own = raw.select("node", "kind", "heads", "others", "level").distinct()
     by_head = own.select("node", "kind", "others", "level", F.explode("heads").alias("head"))
-    pairs_of_heads = near_heads(by_head.select("head").distinct())
+    pairs_of_heads = _kept(near_heads(by_head.select("head").distinct()))
     left = by_head.select(F.col("node").alias("a"), F.col("kind").alias("kind"), F.col("others").alias("others_a"), F.col("level").alias("level_a"), F.col("head").alias("head_a"))
     right = by_head.select(F.col("node").alias("b"), F.col("kind").alias("kind"), F.col("others").alias("others_b"), F.col("level").alias("level_b"), F.col("head").alias("head_b"))
     # People of one family name meet only where the first given names can begin with the same letter.

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from foliant.llm.names import changes, components, distance, index_keys, linked, p1_found, probe_keys
+from foliant.llm.names import changes, components, distance, index_keys, linked, p1_found, probe_keys, same_head
 
 NAMES = [
     "Lakobrimem, Margaret", "Margaret Lakobrimem", "LAKOBRIMEM, Peggy", "Lakobrrimem, Margaret", "Lakobrimem , M.", "Lakobrimem",
@@ -37,6 +37,11 @@ def test_banded_distance_and_pigeonhole_against_brute_force():
                 assert set(index_keys(a)) & probe_keys(b) or true == 1 and sorted(a) == sorted(b) or true == 2, (a, b)
 
 
+def test_two_replaced_letters_must_lie_beside_the_right_ones():
+    assert same_head("kagavivard", "kahabivard") and not same_head("brenifekem", "trenifetem") and same_head("nohepezik", "nehepezik") and same_head("listustutost", "lisstuustutost") is True
+    assert not same_head("short", "shxxt") and not same_head("", "a") and same_head("", "")
+
+
 def classes(spark, names):
     out = {}
     for r in linked(spark.createDataFrame([(n,) for n in names], "name string")).collect():
