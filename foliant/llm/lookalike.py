@@ -180,13 +180,19 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """kind, key_a, key_b: rows whose canonical texts are equal and whose texts are not. Blank texts are no case.
 
-    Rows meet by an equi-join on the hash of the canonical text; copies of one string are one class representative
-    until the strings have been paired, so a much repeated string costs its rows once per different spelling."""
-    rows = canonical(texts(spark, folder), words=vocabulary([F.col("text")], texts(spark, folder)))
-    rows = rows.where("canonical <> ''").select("kind", "key", F.xxhash64("kind", "canonical").alias("look"), F.sha2("canonical", 256).alias("sure"), F.sha2("text", 256).alias("spelling"))
-    members = rows.groupBy("kind", "look", "sure", "spelling").agg(F.collect_set("key").alias("keys"))
-    left = members.select("kind", "look", "sure", F.col("spelling").alias("spelling_a"), F.col("keys").alias("keys_a"))
-    right = members.select("kind", "look", "sure", F.col("spelling").alias("spelling_b"), F.col("keys").alias("keys_b"))
-    pairs = left.join(right, ["kind", "look", "sure"]).where("spelling_a < spelling_b")
-    pairs = pairs.select("kind", F.explode("keys_a").alias("a"), "keys_b").select("kind", "a", F.explode("keys_b").alias("b"))
-    return pairs.select("kind", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+    Only digests are shuffled. Spellings are counted once a class and paired by an equi-join on the canonical digest; rows
+    then meet the pairs of their own spellings. So copies of one string, however many, are never compared with each
+    other, no group is gathered, and a hot spelling is split by the join on its rows."""
+    from foliant.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    both = texts(spark, folder)
+    rows = canonical(both, words=vocabulary([F.col("text")], both)).where("canonical <> ''")
+    rows = rows.select("kind", "key", F.sha2("canonical", 256).alias("look"), F.sha2("text", 256).alias("spelling")).distinct().checkpoint()
+    spellings = rows.select("kind", "look", "spelling").distinct()
+    other = spellings.withColumnRenamed("spelling", "spelling_b")
+    pairs = spellings.withColumnRenamed("spelling", "spelling_a").join(other, ["kind", "look"]).where("spelling_a < spelling_b").drop("look")
+    left = rows.select("kind", F.col("key").alias("a"), F.col("spelling").alias("spelling_a"))
+    right = rows.select("kind", F.col("key").alias("b"), F.col("spelling").alias("spelling_b"))
+    met = pairs.join(left, ["kind", "spelling_a"]).join(right, ["kind", "spelling_b"])
+    return met.select("kind", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
