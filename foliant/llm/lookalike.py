@@ -194,5 +194,5 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = spellings.withColumnRenamed("spelling", "spelling_a").join(other, ["kind", "look"]).where("spelling_a < spelling_b").drop("look")
     left = rows.select("kind", F.col("key").alias("a"), F.col("spelling").alias("spelling_a"))
     right = rows.select("kind", F.col("key").alias("b"), F.col("spelling").alias("spelling_b"))
-    met = pairs.join(left, ["kind", "spelling_a"]).join(right, ["kind", "spelling_b"])
+    met = pairs.join(left, ["kind", "spelling_a"]).join(right, ["kind", "spelling_b"]).where("a <> b")
     return met.select("kind", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
