@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import anchors
+from foliant.operators.carry import carried
 
 
 def anchor_rows(sections: DataFrame, key: str = "section_id", text: str = "text") -> DataFrame:
@@ -45,9 +46,8 @@ def pairing_gate(anchor: DataFrame, notes: DataFrame, doc: str) -> DataFrame:
 def continued_notes(lines: DataFrame, doc: str, page: str, line: str, number: Column, gap: int = 1) -> DataFrame:
     """Adds note_page and note_line, of the line that opened the note: W7. A line without number goes on with the last
     note if that began at most `gap` pages before; otherwise both are null, a leftover."""
-    order = Window.partitionBy(doc).orderBy(page, line)
-    opener = F.last(F.when(number.isNotNull(), F.struct(F.col(page).alias("p"), F.col(line).alias("l"))), ignorenulls=True).over(order)
-    near = lines.withColumn("__open", opener).withColumn("__open", F.when(F.col(page) - F.col("__open.p") <= gap, F.col("__open")))
+    opener = F.when(number.isNotNull(), F.struct(F.col(page).alias("p"), F.col(line).alias("l")))
+    near = carried(lines, [doc], [page, line], {"__open": ("last", opener)}).withColumn("__open", F.when(F.col(page) - F.col("__open.p") <= gap, F.col("__open")))
     return near.select(*lines.columns, F.col("__open.p").alias("note_page"), F.col("__open.l").alias("note_line"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import is_page_number, repetition_key
+from foliant.operators.carry import carried
 
 # Fixed values.
 SHORT_CHARS = 80
@@ -93,8 +94,8 @@ def outline_leaves(entries: DataFrame, doc: str = "doc_id", order: str = "entry_
 
 def advancing(entries: DataFrame, doc: str, order: str, page: str) -> DataFrame:
     """The entries whose page is beyond all pages before: W3."""
-    before = F.max(page).over(Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return entries.withColumn("__far", before).where(F.col("__far").isNull() | (F.col(page) > F.col("__far"))).drop("__far")
+    far = carried(entries, [doc], [order], {"__far": ("max", F.col(page))}, before=True)
+    return far.where(F.col("__far").isNull() | (F.col(page) > F.col("__far"))).drop("__far")
 
 
 def section_bounds(starts: DataFrame, doc: str, order: str, page: str, last: Column) -> DataFrame:
@@ -112,26 +113,28 @@ def in_page_range(rows: DataFrame, sections: DataFrame, doc: str, page: str, sta
     left = rows.select(F.col(doc), F.col(page).alias("__at"), F.lit(1).alias("__side"), F.struct(*mine).alias("__row"))
     right = sections.select(F.col(doc), F.col(start).alias("__at"), F.lit(0).alias("__side"), F.struct(*theirs).alias("__section"))
     both = left.unionByName(right, allowMissingColumns=True)
-    found = F.last("__section", ignorenulls=True).over(Window.partitionBy(doc).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("__found", found).where((F.col("__side") == 1) & (F.col("__at") <= F.col(f"__found.{end}")))
+    found = carried(both, [doc], ["__at", "__side"], {"__found": ("last", F.col("__section"))})
+    out = found.where((F.col("__side") == 1) & (F.col("__at") <= F.col(f"__found.{end}")))
     return out.select("__row.*", *[F.col(f"__found.{c}").alias(c) for c in theirs])
 
 
 def hanging_entries(lines: DataFrame, doc: str, page: str, line: str, x: str) -> DataFrame:
     """Adds entry_no from 1: W5. A line at its page's margin (within 2.0) opens an entry, and so does the first line."""
     margin = F.min(x).over(Window.partitionBy(doc, page))
-    order = Window.partitionBy(doc).orderBy(page, line)
-    opens = (F.col(x) <= margin + INDENT_MARGIN) | (F.row_number().over(order) == 1)
-    return lines.withColumn("__opens", opens.cast("bigint")).withColumn("entry_no", F.sum("__opens").over(order)).drop("__opens")
+    marked = lines.withColumn("__opens", (F.col(x) <= margin + INDENT_MARGIN).cast("bigint"))
+    # The first line opens an entry whatever its place: where it does not by itself, all numbers are one higher.
+    first = marked.groupBy(doc).agg((1 - F.min_by("__opens", F.struct(page, line))).alias("__add"))
+    counted = carried(marked, [doc], [page, line], {"entry_no": ("sum", F.col("__opens"))})
+    return counted.join(first, doc).withColumn("entry_no", F.col("entry_no") + F.col("__add")).select(*[c for c in lines.columns if c != "entry_no"], "entry_no")
 
 
 def forward_filled(rows: DataFrame, by: list[str], order: list[str], label: str, out: str) -> DataFrame:
     """Adds `out`: the last label that is not null up to the row."""
-    return rows.withColumn(out, F.last(label, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order)))
+    return carried(rows, by, order, {out: ("last", F.col(label))})
 
 
-def continued_entries(rows: DataFrame, by: list[str], order: list[str], text: str, done: Column) -> DataFrame:
-    """Adds entry_no: W12. A row whose predecessor is not `done` continues it."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    opens = F.coalesce(F.lag(done).over(w), F.lit(True))
-    return rows.withColumn("__opens", opens.cast("bigint")).withColumn("entry_no", F.sum("__opens").over(w)).drop("__opens")
+def continued_entries(rows: DataFrame, by: list[str], order: list[str], done: Column) -> DataFrame:
+    """Adds entry_no: W12. A row whose predecessor is not `done` continues it; a null is as good as done."""
+    marked = carried(rows.withColumn("__done", F.coalesce(done, F.lit(True))), by, order, {"__before": ("last", F.col("__done"))}, before=True)
+    opens = F.coalesce("__before", F.lit(True)).cast("bigint")
+    return carried(marked, by, order, {"entry_no": ("sum", opens)}).drop("__done", "__before")

@@ -179,4 +179,4 @@ SELECT entry_id, doc_id, sum(opens) OVER (PARTITION BY doc_id, section_idx ORDER
 FROM (SELECT *, CASE WHEN coalesce(lag(regexp_matches(text, '[.!?…:][)\\]"''”’]*$')) OVER (PARTITION BY doc_id, section_idx ORDER BY entry_idx, entry_id), true) THEN 1 ELSE 0 END AS opens FROM {once_sql('bibliography', 'entry_id', 'doc_id', 'section_idx', 'entry_idx', 'text')})""")
 def continued_bibliography(spark, folder):
     rows = once(spark, folder, "bibliography", "entry_id", "doc_id", "section_idx", "entry_idx", "text")
-    return P.continued_entries(rows, ["doc_id", "section_idx"], ["entry_idx", "entry_id"], "text", ends_paragraph("text")).select("entry_id", "doc_id", "entry_no")
+    return P.continued_entries(rows, ["doc_id", "section_idx"], ["entry_idx", "entry_id"], ends_paragraph("text")).select("entry_id", "doc_id", "entry_no")
