@@ -38,9 +38,14 @@ def furniture_global(spark, folder):
     return page_furniture(spark, folder).where("scope = 'everywhere'").drop("scope")
 
 
-@query("furniture_edge", f"WITH {FURNITURE} SELECT doc_id, key FROM furniture WHERE scope = 'edge'")
+# Edges come back in a user's days of events: the day is the page, the event type its block.
+EVENTS = "lines AS (SELECT user_id AS doc_id, CAST(ts AS DATE) AS page_no, event_id AS block_no, event_type AS line FROM events)"
+
+
+@query("furniture_edge", f"WITH {FURNITURE.replace(LINES, EVENTS)} SELECT doc_id, key FROM furniture WHERE scope = 'edge'")
 def furniture_edge(spark, folder):
-    return page_furniture(spark, folder).where("scope = 'edge'").drop("scope")
+    days = table(spark, folder, "events").select(F.col("user_id").alias("doc_id"), F.to_date("ts").alias("page_no"), F.col("event_id").alias("block_no"), F.col("event_type").alias("line"))
+    return P.furniture(days, text="line").where("scope = 'edge'").drop("scope")
 
 
 @query("furniture_union", f"WITH {FURNITURE} SELECT DISTINCT doc_id, key FROM furniture")
