@@ -11,7 +11,7 @@ from itertools import accumulate
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns, limits and word lists.
@@ -199,6 +199,12 @@ def _map(f, kind: str, *columns) -> Column:
     return F.pandas_udf(one if len(columns) == 1 else two, kind)(*columns)
 
 
+def spread(df: DataFrame, keep: list[str], array: Column, place: str, item: str) -> DataFrame:
+    """`keep`, `place`, `item`: one row per element. The outer form of explode, since for the plain one the optimizer filters
+    on the array too, and an array made in Python would be made twice."""
+    return df.select(*keep, F.posexplode_outer(array).alias(place, item)).where(F.col(item).isNotNull())
+
+
 def mended_column(texts) -> Column:
     """array<string> of a section's paragraphs, mended."""
     return _map(lambda x: [t for t, _ in mended(list(x))], "array<string>", texts)

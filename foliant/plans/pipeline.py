@@ -23,10 +23,10 @@ def redacted(sections: DataFrame, verbatim_notes: bool = False) -> DataFrame:
     `verbatim_notes` weaves them in as digressions."""
     notes = F.coalesce("footnotes", F.expr(NO_NOTES)) if verbatim_notes else F.expr(NO_NOTES)
     parts = F.filter(F.split("text", "\n\n", -1), lambda p: F.trim(F.regexp_replace(p, r"\s", " ")) != "")
-    mended = sections.where("text is not null").select("section_id", notes.alias("notes"), F.posexplode(X.mended_column(parts)).alias("p", "paragraph"))
-    woven = mended.select("section_id", "p", F.posexplode(X.woven_column(F.col("paragraph"), F.col("notes"))).alias("w", "piece"))
+    mended = X.spread(sections.where("text is not null").withColumn("notes", notes), ["section_id", "notes"], X.mended_column(parts), "p", "paragraph")
+    woven = X.spread(mended, ["section_id", "p"], X.woven_column(F.col("paragraph"), F.col("notes")), "w", "piece")
     spoken = woven.select("section_id", "p", "w", "piece.manner", C.spoken(F.col("piece.text")).alias("text"))
-    tagged = spoken.select("section_id", "p", "w", "manner", F.posexplode(X.tagged_column(F.col("text"), F.lit("en"))).alias("t", "x"))
+    tagged = X.spread(spoken, ["section_id", "p", "w", "manner"], X.tagged_column(F.col("text"), F.lit("en")), "t", "x")
     text = F.when(F.col("x.lang") == "en", X.pointed_column(F.col("x.text"))).otherwise(F.col("x.text"))
     order = F.col("p").cast("bigint") * 1_000_000 + F.col("w").cast("bigint") * 1_000 + F.col("t")
     return tagged.select("section_id", order.alias("utt_idx"), text.alias("text"), "manner", F.col("x.lang").alias("lang"))
@@ -69,5 +69,4 @@ def interpreted_utterances(spark, folder):
     switches = once(spark, folder, "switches", "switch_id", "utt_id", "text", "lang").groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("switch_id", "text", "lang"))).alias("s"))
     utterances = once(spark, folder, "utterances", "utt_id", "text").where("text is not null")
     pieces = V.switched_column(F.col("text"), F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["lang"].alias("lang"))))
-    rows = utterances.join(switches, "utt_id").select("utt_id", F.posexplode(pieces).alias("piece_no", "p"))
-    return rows.select("utt_id", "piece_no", "p.text", "p.lang")
+    return X.spread(utterances.join(switches, "utt_id"), ["utt_id"], pieces, "piece_no", "p").select("utt_id", "piece_no", "p.text", "p.lang")

@@ -23,22 +23,20 @@ def _utterances(spark, folder):
 @query("mend_seams")
 def mend_seams(spark, folder):
     parts = F.filter(F.split("text", "\n\n", -1), lambda p: F.trim(F.regexp_replace(p, r"\s", " ")) != "")
-    rows = _sections(spark, folder).select("section_id", X.mended_column(parts).alias("m"))
-    return rows.select("section_id", F.posexplode("m").alias("paragraph_no", "paragraph"))
+    return X.spread(_sections(spark, folder), ["section_id"], X.mended_column(parts), "paragraph_no", "paragraph")
 
 
 @query("weave_notes")
 def weave_notes(spark, folder):
     rows = _sections(spark, folder)
     paragraphs = S.paragraphs(rows)
-    out = paragraphs.select("section_id", "paragraph_no", X.woven_column("paragraph", F.coalesce("footnotes", F.expr("array()").cast("array<struct<ref:string,text:string>>"))).alias("w"))
-    return out.select("section_id", "paragraph_no", F.posexplode("w").alias("piece_no", "p")).select("section_id", "paragraph_no", "piece_no", "p.text", "p.manner", "p.ref")
+    notes = F.coalesce("footnotes", F.expr("array()").cast("array<struct<ref:string,text:string>>"))
+    return X.spread(paragraphs, ["section_id", "paragraph_no"], X.woven_column("paragraph", notes), "piece_no", "p").select("section_id", "paragraph_no", "piece_no", "p.text", "p.manner", "p.ref")
 
 
 @query("script_runs")
 def script_runs(spark, folder):
-    rows = _utterances(spark, folder).select("utt_id", X.tagged_column("text", F.coalesce("lang", F.lit("en"))).alias("t"))
-    return rows.select("utt_id", F.posexplode("t").alias("piece_no", "p")).select("utt_id", "piece_no", "p.text", "p.lang")
+    return X.spread(_utterances(spark, folder), ["utt_id"], X.tagged_column("text", F.coalesce("lang", F.lit("en"))), "piece_no", "p").select("utt_id", "piece_no", "p.text", "p.lang")
 
 
 @query("breath_points")
@@ -48,14 +46,13 @@ def breath_points(spark, folder):
 
 @query("sentence_chunks")
 def sentence_chunks(spark, folder):
-    rows = _utterances(spark, folder).select("utt_id", X.chunked_column("text").alias("c"))
-    return rows.select("utt_id", F.posexplode("c").alias("chunk_no", "chunk"))
+    return X.spread(_utterances(spark, folder), ["utt_id"], X.chunked_column("text"), "chunk_no", "chunk")
 
 
 @query("line_batches")
 def line_batches(spark, folder):
-    rows = once(spark, folder, "documents", "doc_id", "text").where("text is not null").select("doc_id", X.batched_column("text").alias("b"))
-    return rows.select("doc_id", F.posexplode("b").alias("batch_no", "batch"))
+    rows = once(spark, folder, "documents", "doc_id", "text").where("text is not null")
+    return X.spread(rows, ["doc_id"], X.batched_column("text"), "batch_no", "batch")
 
 
 def _cited(spark, folder):
