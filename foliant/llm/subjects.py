@@ -32,6 +32,7 @@ LANGUAGE_ROWS = 250  # labelled rows a language and table for the language model
 SURE = 0.6  # probability from which a sentence deals with a subject
 SOURCES = 16  # buckets of source names
 BEAM = 4
+AT_ONCE = 1500  # documents whose words lie in memory together
 STEPS, RATE = 900, 2.0  # steps of 256 sentences, in 3 to 12 passes
 READ = [LANGUAGES.index(x) for x in ("en", "de", "fr")]
 
@@ -272,11 +273,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classify, model = pair.value
         names = np.array(classify.subjects, dtype=object)
-        for part in parts:
-            found, cut = classify(part["text"].tolist(), part["source"].tolist())
-            found &= readable(model, cut)[:, None]
-            doc, subject = np.nonzero(found)
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[doc], "subject": names[subject]})
+        for whole in parts:
+            for start in range(0, len(whole), AT_ONCE):
+                part = whole.iloc[start : start + AT_ONCE]
+                found, cut = classify(part["text"].tolist(), part["source"].tolist())
+                found &= readable(model, cut)[:, None]
+                doc, subject = np.nonzero(found)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[doc], "subject": names[subject]})
 
     documents = table(spark, folder, "documents").where("trim(text) <> ''").select("doc_id", "text", "source")
     return documents.mapInPandas(run, "doc_id bigint, subject string").distinct()
