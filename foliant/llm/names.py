@@ -40,6 +40,11 @@ NICKNAMES = {
     "sue": "susanna", "susi": "susanna", "susie": "susanna", "suzy": "susanna", "sanna": "susanna", "susan": "susanna", "uli": "ulrich", "ulli": "ulrich", "utz": "ulrich", "bill": "william", "billy": "william", "will": "william", "willy": "william", "liam": "william",
     "zoli": "zoltan", "yusi": "yusuf", "joe": "joseph", "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john", "kit": "christopher", "chris": "christopher", "tom": "thomas", "tommy": "thomas", "sam": "samuel", "dan": "daniel", "mike": "michael", "misha": "mikhail", "vanya": "ivan", "pepe": "jose", "gigi": "luigi", "nanni": "giovanni", "gianni": "giovanni",
 }
+#: First letters of the short forms of each full name.
+SHORT_LETTERS: dict[str, set[str]] = {}
+for _short, _full in NICKNAMES.items():
+    for _name in _full.split():
+        SHORT_LETTERS.setdefault(_name, set()).add(_short[0])
 # Particles of family names.
 PARTICLES = set("de du des von van vom zu zum zur ter ten den der della delle dei degli del di da dal dos das do ibn bin ben af av la le les al el the und".split())
 # Kinds of institutions, whole and short.
@@ -170,9 +175,14 @@ def parsed(name: str, given: set[str]) -> tuple[str, list[str], list[str]]:
     return "person", heads, [w for w in whole if w not in heads]
 
 
-def same_given(a: str, b: str) -> bool:
+def same_given(a: str, b: str, loose: bool = False) -> bool:
+    """Whether two given names or initials may be one; `loose`: an initial may be that of a short form (P. for Margaret)."""
     if a == b:
         return True
+    if loose and (len(a) == 1) != (len(b) == 1):
+        one, full = sorted((a, b), key=len)
+        if any(one in SHORT_LETTERS.get(f, ()) for f in NICKNAMES.get(full, full).split()):
+            return True
     if len(a) == 1 or len(b) == 1:
         return a[0] == b[0] or any(f[0] == s for x, s in ((a, b), (b, a)) if len(s) == 1 for f in NICKNAMES.get(x, "").split())
     full_a, full_b = set(NICKNAMES.get(a, a).split()), set(NICKNAMES.get(b, b).split())
@@ -186,17 +196,17 @@ def level(others: list[str]) -> int:
     return 0 if not others else 1 if any(len(w) == 1 for w in others) else 2
 
 
-def same_person(a: list[str], b: list[str]) -> bool:
+def same_person(a: list[str], b: list[str], loose: bool = False) -> bool:
     """Given names agree one by one, in order; the shorter list may leave out later ones or single ones of a double name."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return True
-    if not same_given(a[0], b[0]):
+    if not same_given(a[0], b[0], loose):
         return False
     i = 1
     for w in b[1:]:
-        if i < len(a) and same_given(a[i], w):
+        if i < len(a) and same_given(a[i], w, loose):
             i += 1
     return i == len(a)
 
@@ -219,8 +229,11 @@ def same_body(a: list[str], b: list[str]) -> bool:
 
 
 def full_first(others: list[str]) -> str:
-    """Initials of the full forms of the first given name."""
-    return "".join(sorted({f[0] for f in NICKNAMES.get(others[0], others[0]).split()})) if others else ""
+    """First letters of the full and short forms of the first given name."""
+    if not others:
+        return ""
+    full = NICKNAMES.get(others[0], others[0]).split()
+    return "".join(sorted({f[0] for f in full} | {others[0][0]} | {c for f in full for c in SHORT_LETTERS.get(f, ())}))
 
 
 def nodes(names: DataFrame) -> DataFrame:
@@ -302,28 +315,35 @@ def linked(names: DataFrame) -> DataFrame:
 
     def agree(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ok = [(same_body if k == "body" else same_person)(list(x), list(y)) for k, x, y in zip(part["kind"], part["others_a"], part["others_b"])]
-            yield part.loc[ok, ["a", "b", "kind", "level_a", "level_b", "more"]]
+            given = list(zip(part["kind"], part["others_a"], part["others_b"]))
+            strict = [(same_body if k == "body" else same_person)(list(x), list(y)) for k, x, y in given]
+            loose = [ok or k == "person" and same_person(list(x), list(y), loose=True) for ok, (k, x, y) in zip(strict, given)]
+            yield part.assign(strict=strict)[loose][["a", "b", "kind", "level_a", "level_b", "more", "exact", "strict"]]
 
     size = F.size("others_b") - F.size("others_a")
     met = left.join(pairs_of_heads, "head_a").join(right_named, ["kind", "head_b", "first"]).where("a <> b")
-    met = met.select("a", "b", "kind", "others_a", "others_b", "level_a", "level_b", size.alias("more")).dropDuplicates(["a", "b"])
-    edges = _kept(met.mapInPandas(agree, "a string, b string, kind string, level_a int, level_b int, more int"))
-    strong = edges.where("level_a = 2 and level_b = 2 and (more = 0 or kind = 'body')").select("a", "b")
-    labels = components(strong, own)
+    met = met.select("a", "b", "kind", "others_a", "others_b", "level_a", "level_b", size.alias("more"), (F.col("head_a") == F.col("head_b")).alias("exact"))
+    met = met.groupBy("a", "b", "kind", "others_a", "others_b", "level_a", "level_b", "more").agg(F.max("exact").alias("exact"))
+    edges = _kept(met.mapInPandas(agree, "a string, b string, kind string, level_a int, level_b int, more int, exact boolean, strict boolean"))
+    strong = edges.where("level_a = 2 and level_b = 2 and strict and (more = 0 or kind = 'body')").select("a", "b")
+    labels = components(strong, own).withColumn("done", F.lit(False))
 
     def attach(labels: DataFrame, weak: DataFrame) -> DataFrame:
-        """Components of which a name `a` fits exactly one component of names `b` that say more join it."""
+        """Components not attached yet, of which a name `a` fits exactly one component of names `b` that say more, join it."""
         of_b = weak.join(labels.select(F.col("node").alias("b"), F.col("component").alias("to")), "b")
-        of_both = of_b.join(labels.select(F.col("node").alias("a"), "component"), "a").where("to <> component")
+        of_both = of_b.join(labels.where("not done").select(F.col("node").alias("a"), "component"), "a").where("to <> component")
         one = of_both.groupBy("component").agg(F.min("to").alias("to"), F.max("to").alias("other")).where("to = other").select("component", "to")
-        return _kept(labels.join(one, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        return _kept(labels.join(one, "component", "left").select("node", F.coalesce("to", "component").alias("component"), (F.col("done") | F.col("to").isNotNull()).alias("done")))
 
-    labels = attach(labels, edges.where("level_a = 2 and level_b = 2 and more > 0").select("a", "b"))
-    labels = attach(labels, edges.where("level_a = 1 and level_b = 2 and more >= 0").select("a", "b"))
-    labels = attach(labels, edges.where("level_a = 1 and level_b = 1 and more > 0").select("a", "b"))
+    labels = attach(labels, edges.where("level_a = 2 and level_b = 2 and more > 0 and strict").select("a", "b"))
+    # Initials: those of the names themselves before those of short forms, the same head before a mistyped one.
+    for fit in ("exact and strict", "strict", "exact", "true"):
+        labels = attach(labels, edges.where(f"level_a = 1 and level_b = 2 and more >= 0 and {fit}").select("a", "b"))
+    labels = attach(labels, edges.where("level_a = 1 and level_b = 1 and more > 0 and strict").select("a", "b"))
     bare = left.where("level_a = 0 and kind = 'person'").join(pairs_of_heads, "head_a").join(right.where("level_b > 0 and kind = 'person'").drop("kind"), "head_b")
-    labels = attach(labels, bare.select("a", "b").distinct())
+    bare = _kept(bare.groupBy("a", "b").agg(F.max(F.col("head_a") == F.col("head_b")).alias("exact")))
+    for fit in ("exact", "true"):
+        labels = attach(labels, bare.where(fit).select("a", "b"))
     return raw.select("name", "node").join(labels, "node").select("name", F.col("component").alias("entity"))
 
 

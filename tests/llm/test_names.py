@@ -74,3 +74,8 @@ def test_p1_found(spark, tmp_path):
     spark.createDataFrame([(["Lakobrimem, Margaret", None],), (None,), ([" "],), (["Lakobrimem, Margaret"],)], "authors array<string>").write.parquet(f"{tmp_path}/bibliography.parquet")
     spark.createDataFrame([("Margaret Lakobrimem",), (None,)], "author string").write.parquet(f"{tmp_path}/pairings.parquet")
     assert [tuple(r) for r in p1_found(spark, str(tmp_path)).collect()] == [("Lakobrimem, Margaret", "Margaret Lakobrimem")]
+
+
+def test_initials_of_short_forms_and_exact_heads_first(spark):
+    base = ["Kikehotul, Theodora", "Kikehotul, D.", "Baterovost, Elizabeth", "Baterovost", "Bateroovst, Vera", "Krozalim, Edward", "Krozalim, Richard", "Krozalim, R.", "Krozalim, E.", "Other, Theodora", "Third, Theodora", "Fourth, Elizabeth", "Fifth, Edward"]
+    assert classes(spark, base) == sorted([sorted(x) for x in (base[0:2], base[2:4], [base[5], base[8]], [base[6], base[7]])])
