@@ -266,7 +266,9 @@ def near_heads(heads: DataFrame) -> DataFrame:
     probes = F.pandas_udf(lambda s: s.map(lambda w: sorted(probe_keys(w))), "array<string>")
     index = heads.select(F.col("head").alias("head_a"), F.explode(keys("head")).alias("key"))
     probe = heads.select(F.col("head").alias("head_b"), F.explode(probes("head")).alias("key"))
-    found = index.join(probe, "key").select("head_a", "head_b").distinct()
+    # A swap counts as two plain edits, so nothing within k errors is farther apart than 2k of these; the rest goes before it is shuffled.
+    plain = F.when(F.least(F.length("head_a"), F.length("head_b")) < 9, F.levenshtein("head_a", "head_b", 2)).otherwise(F.levenshtein("head_a", "head_b", 4))
+    found = index.join(probe, "key").where(plain >= 0).select("head_a", "head_b").distinct()
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
