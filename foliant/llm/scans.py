@@ -8,7 +8,8 @@ only, or the title of the book or section with or without one, within the letter
 these that come back in several books.
 
 Bounds: the lexicon holds the MOST_WORDS most frequent words of clean sections, the training text TRAINING_SECTIONS of
-them chosen by hash; both are broadcast. All lines of all texts are edited.
+them chosen by hash; both are broadcast. All lines of all texts are edited. Stamps are not bounded: each text is joined
+with those among its own lines.
 Defined results: null and empty texts have no lines to report; blank lines are never reported; line numbers count all
 lines; letters of other scripts and words the lexicon cannot explain are kept.
 """
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.session import checkpoint_dir
 from foliant.sources.tables import table
 
 MOST_WORDS = 200_000
@@ -422,34 +424,53 @@ def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return clean, scanned.select("section_id", "doc_id", F.lit("").alias("ref"), "text", titles).unionByName(notes).where("text is not null")
 
 
-def stamps_of(scanned: DataFrame, books: int = 3, most: int = 10_000) -> frozenset[str]:
-    """Lines that come back in at least so many books, next to page furniture at least half the time; stamps are a
-    library's, so they are few; the most frequent ones are kept."""
+def stamp_lines(scanned: DataFrame) -> DataFrame:
+    """section_id, ref, doc_id, key, n, near: the lines of each text that may be stamps, how often each stands there and how
+    often next to page furniture."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = [(d, k, near) for d, text, titles in part[["doc_id", "text", "titles"]].itertuples(index=False) for k, near in stamp_candidates(text.split("\n"), [t for t in titles if t])]
-            yield pd.DataFrame(out, columns=["doc_id", "key", "near"])
+            out = []
+            for s, ref, d, text, titles in part[["section_id", "ref", "doc_id", "text", "titles"]].itertuples(index=False):
+                found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+                for key, near in stamp_candidates(text.split("\n"), [t for t in titles if t]):
+                    found[key][0] += 1
+                    found[key][1] += near
+                out += [(s, ref, d, key, n, near) for key, (n, near) in found.items()]
+            yield pd.DataFrame(out, columns=["section_id", "ref", "doc_id", "key", "n", "near"])
 
-    lines = scanned.where("ref = ''").mapInPandas(run, "doc_id bigint, key string, near boolean")
-    by_book = lines.groupBy("key", "doc_id").agg(F.count("*").alias("n"), F.count_if("near").alias("near"))
-    found = by_book.groupBy("key").agg(F.count("*").alias("books"), F.sum("n").alias("n"), F.sum("near").alias("near")).where(f"books >= {books} and 2 * near >= n")
-    return frozenset(r[0] for r in found.orderBy(F.desc("books"), "key").limit(most).collect())
+    return scanned.mapInPandas(run, "section_id bigint, ref string, doc_id bigint, key string, n bigint, near bigint")
+
+
+def stamps_of(lines: DataFrame, books: int = 3) -> DataFrame:
+    """key: lines of section texts that come back in at least so many books, next to page furniture at least half the time."""
+    by_book = lines.where("ref = ''").groupBy("key", "doc_id").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
+    return by_book.groupBy("key").agg(F.count("*").alias("books"), F.sum("n").alias("n"), F.sum("near").alias("near")).where(f"books >= {books} and 2 * near >= n").select("key")
+
+
+def with_stamps(scanned: DataFrame) -> DataFrame:
+    """`scanned` with `stamps`, the stamps among a text's own lines (null if none); the set of all stamps need fit nowhere.
+    Sections of one book lie together in the files; the merge join deals the pages out evenly."""
+    checkpoint_dir(scanned.sparkSession)
+    lines = stamp_lines(scanned).checkpoint()  # read twice below
+    own = lines.join(stamps_of(lines), "key", "left_semi").groupBy(F.col("section_id").alias("__section"), F.col("ref").alias("__ref")).agg(F.collect_set("key").alias("stamps"))
+    same = F.col("section_id").eqNullSafe(F.col("__section")) & (F.col("ref") == F.col("__ref"))
+    return scanned.join(own.hint("merge"), same, "left").select(*scanned.columns, "stamps")
 
 
 def _read_all(spark: SparkSession, folder: str, make, schema: str) -> DataFrame:
     clean, scanned = _inputs(spark, folder)
-    shared = spark.sparkContext.broadcast((editor_of(clean), stamps_of(scanned)))
+    shared = spark.sparkContext.broadcast(editor_of(clean))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        editor, stamps = shared.value
+        editor = shared.value
         for part in parts:
-            out = [row for s, ref, text, titles in part[["section_id", "ref", "text", "titles"]].itertuples(index=False) for row in make(s, ref, text, [t for t in titles if t], editor, stamps)]
+            texts = part[["section_id", "ref", "text", "titles", "stamps"]].itertuples(index=False)
+            out = [row for s, ref, text, titles, stamps in texts for row in make(s, ref, text, [t for t in titles if t], editor, frozenset(() if stamps is None else stamps))]
             yield pd.DataFrame(out, columns=names)
 
-    # Sections of one book lie together in the files; the pages are dealt out evenly.
-    return scanned.repartition("section_id", "ref").mapInPandas(run, schema).distinct()
+    return with_stamps(scanned).mapInPandas(run, schema).distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

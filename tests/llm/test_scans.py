@@ -69,3 +69,14 @@ def test_whole_query(spark, tmp_path):
     spark.createDataFrame([(1, ".pdf", None), (2, ".epub", "B"), (2, ".epub", "B")], "doc_id bigint, suffix string, title string").write.parquet(f"{tmp_path}/doc_meta.parquet")
     rows = {tuple(r) for r in S.p4_found(spark, str(tmp_path)).where("section_id = 0").collect()}
     assert {(0, "", 0, "broken_word"), (0, "", 2, "furniture"), (0, "n", 0, "broken_compound")} <= rows
+
+
+def test_every_stamp_is_furniture_however_many_there_are(spark, tmp_path):
+    codes = ["".join("adgkmpxz"[n >> 3 * i & 7] for i in range(5)) for n in range(10_005)]
+    page = "\n".join(f"[3]\nRoom {c}" for c in codes)
+    sections = [(b, b, "T", page, [("n", "Room aaaaa"), ("m", "Room zzzzz")]) for b in (1, 2, 3)] + [(9, 9, "T", CLEAN[0], [])]
+    spark.createDataFrame(sections, "section_id bigint, doc_id bigint, title string, text string, footnotes array<struct<ref:string,text:string>>").write.parquet(f"{tmp_path}/sections.parquet")
+    spark.createDataFrame([(1, ".pdf", "A"), (2, ".pdf", "B"), (3, ".pdf", "C"), (9, ".epub", "D")], "doc_id bigint, suffix string, title string").write.parquet(f"{tmp_path}/doc_meta.parquet")
+    found = S.p4_found(spark, str(tmp_path)).where("kind = 'furniture'")
+    assert {r[0]: r[1] for r in found.where("ref = ''").groupBy("section_id").count().collect()} == dict.fromkeys((1, 2, 3), 2 * len(codes))
+    assert sorted((r.section_id, r.ref) for r in found.where("ref <> ''").collect()) == [(1, "n"), (2, "n"), (3, "n")]
